@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.llm import conversations, rankwalk
-from siftlake.plans.session import table
+from siftlake.llm import conversations, packing, rankwalk, tokens
+from siftlake.plans.session import cut, spread, table
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -18,6 +18,15 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return rankwalk.leaders(table(spark, sf, "search_hits"))
 
 
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.encode(spread(table(spark, sf, "documents", "doc_id", "text")), "doc_id", "text")
+
+
+def p9_packed(spark: SparkSession, sf: str) -> DataFrame:
+    sized = cut(tokens.encode(spread(table(spark, sf, "documents", "doc_id", "text")), "doc_id", "text", counts_only=True))
+    return packing.pack(sized, table(spark, sf, "pack_limits"), "doc_id", "n_tokens")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("p") and callable(v)}
 

@@ -51,22 +51,28 @@ def _mixed(low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
     return x
 
 
+def _displaced(mixed: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Place of each key under displacement d. Mixed anew for each d: steps of a fixed width would come round before all free places are tried."""
+    x = mixed ^ d * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    return (x % np.uint64(n)).astype("int64")
+
+
 def _slot(mixed: np.ndarray, displacement: np.ndarray, n: int) -> np.ndarray:
-    """Place of each key: a bucket's displacement d sends it to (a + d*b) mod n; a negative d names the place itself."""
+    """Place of each key by its bucket's displacement; a negative one names the place itself."""
     d = displacement[(mixed % np.uint64(len(displacement))).astype("int64")]
-    a, b = mixed >> np.uint64(32), (mixed & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    at = ((a + np.abs(d).astype("uint64") * b) % np.uint64(n)).astype("int64")
-    return np.where(d < 0, -d - 1, at)
+    return np.where(d < 0, -d - 1, _displaced(mixed, np.abs(d).astype("uint64"), n))
 
 
 def _perfect_hash(mixed: np.ndarray) -> np.ndarray:
     """Displacements that give len(mixed) keys as many different places: large buckets first, single keys into what is left."""
     n = len(mixed)
-    buckets = max(1, n // 4)
+    buckets = max(1, n // 3)
     of = (mixed % np.uint64(buckets)).astype("int64")
     order = np.argsort(of, kind="stable")
     edges = np.searchsorted(of[order], np.arange(buckets + 1))
-    a, b = mixed >> np.uint64(32), (mixed & np.uint64(0xFFFFFFFF)) | np.uint64(1)
     taken, out = np.zeros(n, bool), np.zeros(buckets, "int64")
     singles = []
     for k in np.argsort(-np.diff(edges), kind="stable"):
@@ -77,7 +83,7 @@ def _perfect_hash(mixed: np.ndarray) -> np.ndarray:
         base = 0
         while True:
             tries = np.arange(base, base + 512, dtype="uint64")
-            at = ((a[members][:, None] + tries * b[members][:, None]) % np.uint64(n)).astype("int64")
+            at = _displaced(mixed[members][:, None], tries, n)
             free = ~taken[at].any(0)
             for t in np.flatnonzero(free):
                 if len(set(at[:, t].tolist())) == len(members):
