@@ -1,6 +1,7 @@
 import json
 from collections import defaultdict
 
+from __spark_entry__ import queries
 from siftlake.operators.drift import consistent_table, path_values, schema_changes
 from siftlake.plans.session import table
 
@@ -98,3 +99,39 @@ def test_path_values_keeps_types(spark):
     rows = [("s", 1, "t", json.dumps({"id": "é", "a": True, "o": {"b": 1}, "l": [], "x": None, "f": 1.50}))]
     got = {r.field: (r.type, r.value) for r in path_values(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got["a"] == ("boolean", "true") and got["o"][0] == "object" and got["l"][0] == "array" and got["x"] == (None, None) and got["f"] == ("number", "1.5")
+
+
+def test_renames_of_several_streams_share_a_column(spark):
+    put = lambda s, f, n, **o: (s, f, n, "t", json.dumps(o))
+    rows = [
+        put("a", 1, 1, id="1", title="x"), put("a", 2, 1, id="1", name="x"), put("a", 3, 1, id="1", caption="x"), put("a", 3, 2, id="2", caption="y"), put("a", 3, 2, id="2", caption="y"),
+        put("b", 1, 1, id="1", title="z"), put("b", 2, 1, id="1", heading="z"), put("c", 1, 1, id="1", title="q", size="7"), put("c", 1, 2),
+        # here label and name stand together, so label of d alone joins name
+        put("d", 1, 1, id="1", label="l"), put("d", 2, 1, id="1", name="l"), put("e", 1, 1, id="1", label="m", name="n", size=8), put("e", 1, 2, id="2", size=9),
+    ]
+    df = consistent_table(spark.createDataFrame(rows, "stream_id string, file_seq int, line_no int, table_name string, payload string"), "t")
+    fields = [c for c in df.columns if c.startswith("f_")]
+    assert len(fields) == 4  # id, size, label and the one of title, name, caption and heading
+    title = next(c for c in fields if c not in ("f_id", "f_size", "f_label"))
+    got = {(r.stream_id, r.file_seq, r.line_no): (r[title], r.f_label, r.f_size, r.failed_casts) for r in df.collect()}
+    assert got == {
+        ("a", 1, 1): ("x", None, None, []), ("a", 2, 1): ("x", None, None, []), ("a", 3, 1): ("x", None, None, []), ("a", 3, 2): ("y", None, None, []),
+        ("b", 1, 1): ("z", None, None, []), ("b", 2, 1): ("z", None, None, []), ("c", 1, 1): ("q", None, 7, []), ("c", 1, 2): (None, None, None, []),
+        ("d", 1, 1): ("l", None, None, []), ("d", 2, 1): ("l", None, None, []), ("e", 1, 1): ("n", "m", 8, []), ("e", 1, 2): (None, None, 9, []),
+    }
+
+
+def test_every_readable_line_is_a_row_of_its_table(spark, small):
+    lines = defaultdict(set)
+    for r in table(spark, small, "session_exports").collect():
+        try:
+            o = json.loads(r.payload)
+        except ValueError:
+            continue
+        if isinstance(o, dict):
+            lines[r.table_name].add((r.stream_id, r.file_seq, r.line_no))
+    assert lines
+    for t, want in lines.items():
+        df = queries()[f"p4_{t}_table"](spark, small)
+        got = [tuple(r) for r in df.select("stream_id", "file_seq", "line_no").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
