@@ -18,7 +18,7 @@ def path_values(exports: DataFrame, carry: tuple[str, ...] = (), outer: bool = F
     """(stream_id, file_seq, table_name, record_id, field, type, value) per top-level key of every readable record.
 
     type is one of string, number, boolean, array, object, or null for a null value; value is canonical JSON text
-    (numbers as double where exact). Payloads that are null, broken or no object are unreadable and skipped, as are rows without
+    (numbers as double, whole ones from 2^53 on with all digits). Payloads that are null, broken or no object are unreadable and skipped, as are rows without
     stream, file or table. The columns `carry` come along in front; with `outer` a record without keys is one row without field.
     """
     readable = (
@@ -35,7 +35,9 @@ def path_values(exports: DataFrame, carry: tuple[str, ...] = (), outer: bool = F
         F.when(raw == "STRING", "string").when(raw == "BOOLEAN", "boolean").when(raw.startswith("ARRAY"), "array")
         .when(raw.startswith("OBJECT"), "object").when(raw != "VOID", "number")
     )
-    text = F.when(kind == "number", F.coalesce(F.try_variant_get("value", "$", "double").cast("string"), F.to_json("value"))).otherwise(F.to_json("value"))
+    double = F.try_variant_get("value", "$", "double")
+    large = F.when((F.abs(double) >= 2**53) & ~raw.rlike(r"^DECIMAL\(\d+, ?[1-9]"), F.try_variant_get("value", "$", "decimal(38,0)").cast("string"))
+    text = F.when(kind == "number", F.coalesce(large, double.cast("string"), F.to_json("value"))).otherwise(F.to_json("value"))
     return exploded.select(*carry, "stream_id", F.col("file_seq").cast("long"), "table_name", "record_id", F.col("key").alias("field"), kind.alias("type"), F.when(kind.isNotNull(), text).alias("value"))
 
 

@@ -135,3 +135,9 @@ def test_every_readable_line_is_a_row_of_its_table(spark, small):
         df = queries()[f"p4_{t}_table"](spark, small)
         got = [tuple(r) for r in df.select("stream_id", "file_seq", "line_no").collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_large_whole_numbers_differ_in_their_last_digits(spark):
+    rows = [("s", 1, "t", '{"id":1,"a":9007199254740993,"c":1,"e":123456789012345678901,"g":1e20}'), ("s", 2, "t", '{"id":1,"b":9007199254740992,"d":1.0,"f":123456789012345678901,"h":100000000000000000000}')]
+    got = {(r.field_name, r.change, r.new_name) for r in schema_changes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {("a", "removed", ""), ("b", "added", ""), ("c", "renamed", "d"), ("e", "renamed", "f"), ("g", "renamed", "h")}
