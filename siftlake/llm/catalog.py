@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.llm import conversations, packing, rankwalk, tokens
+from siftlake.llm import conversations, packing, rankwalk, residue, tokens
 from siftlake.plans.session import cut, spread, table
 
 
@@ -27,9 +27,18 @@ def p9_packed(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(sized, table(spark, sf, "pack_limits"), "doc_id", "n_tokens")
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.condemned(spread(table(spark, sf, "documents", "doc_id", "source", "text")))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p6_found, p8_ids, p9_packed, p10_found)}
+
+ORACLE: dict[str, str] = {}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("p") and callable(v)}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
