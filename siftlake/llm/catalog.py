@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.llm import conversations, packing, rankwalk, residue, tokens
+from siftlake.llm import conversations, markup, packing, rankwalk, residue, tokens
 from siftlake.plans.session import cut, spread, table
 
 
+_FILE = ("file_id", "path", "mime_type", "content", "scanned_at")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.markup_counts(spread(table(spark, sf, "file_contents", *_FILE)))
+
+
+def p1_text(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.clean_texts(spread(table(spark, sf, "file_contents", *_FILE)))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.dropped_sessions(table(spark, sf, "messages"), table(spark, sf, "sessions", "session_id"))
 
@@ -31,7 +42,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.condemned(spread(table(spark, sf, "documents", "doc_id", "source", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p6_found, p8_ids, p9_packed, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_text, p3_found, p6_found, p8_ids, p9_packed, p10_found)}
 
 ORACLE: dict[str, str] = {}
 
