@@ -374,6 +374,7 @@ def marks(text: str) -> dict[str, int]:
         "comments": comments,
         "entities": len(_ENTITY.findall(body)),
         "blocks": _count(r"^ {0,3}#{1,6} +\S|^[ \t]*(?:[-*+]|\d{1,9}[.)]) +\S|^ {0,3}> ?\S", body) + _underlined(body),
+        "document": _count(r"<!DOCTYPE\s+html|<html\b|<body\b", plain, re.I) if not fences else 0,
         "block_tags": sum(t in BREAKS for t in tags),
     }
 
@@ -386,7 +387,7 @@ def language_of(text: str, hint: str = "") -> str | None:
     if n["wiki"]:
         return "wiki"
     if n["markdown"] or n["blocks"]:
-        if n["html"] > 2 * (n["markdown"] + n["blocks"]) and n["block_tags"] > 2:
+        if n["document"] or n["html"] > 10 * (n["markdown"] + n["blocks"]) and n["block_tags"] > 2:
             return "html"
         if not n["markdown"] and not n["html"] and hint == "wiki":
             return "wiki"
@@ -457,7 +458,7 @@ def _latest(files: DataFrame, read, result: str) -> DataFrame:
 
     Contents are read before the shuffle, and only what was read off them travels.
     """
-    narrow = files.select(F.col("file_id").cast("long").alias("file_id"), F.unix_micros("scanned_at").alias("at"), F.col("mime_type"), F.col("path"), F.col("content")).filter("file_id IS NOT NULL")
+    narrow = files.select(F.col("file_id").cast("long").alias("file_id"), F.unix_micros(F.col("scanned_at").cast("timestamp")).alias("at"), F.col("mime_type"), F.col("path"), F.col("content")).filter("file_id IS NOT NULL")
 
     def run(batches):
         for b in batches:
