@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ PLACEHOLDERS = [
 ]
 _PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS))
 #: Cheap sign of a possible placeholder.
-_MAYBE_SLOT = r"\{\{|\{%|<%|[$#]\{|\$[A-Z]|%[A-Z(]|\[[^\]\n]{3,50}\]|<<|<[YyIiEe][A-Za-z]+[-_ ]|\{[A-Za-z]|__[A-Z]|@@|\*\|"
+_MAYBE_SLOT = r"\{\{|\{%|<%|[$#]\{|\$[A-Z]|%[A-Z(]|\[(?:[A-Z\[]|[^\]\n]*[ ]\w*(?i:here|buraya|ici|aqu[íi]|hier|f[üu]gen|tragen|ekleyin|girin)\]|(?i:your|insert|enter|add |fill |ins[ée]r|einf|ihr |votre |su ))|<<|<[YyIiEe][A-Za-z]+[-_ ]|\{[A-Za-z]|__[A-Z]|@@|\*\|"
 _SLOT = re.compile(_MAYBE_SLOT)
 
 # fixed values: vocabulary of evidence in the five languages of the corpus
@@ -82,8 +83,20 @@ _STEMS = (
     " anfragen wartung gesperrt introuvable n'ex n'est accès expir indispon encontr acceso caducad solicitud permiso salió bulunam yüklenem artık engellendi redded süresi iznin yetkin kullanıl bakım istek forbidden unauthori"
     " gone gateway unavailable time-out timeout payment warning traceback exception panic goroutine segmentation click sample placeholder fixme tbd tba xxx n/a construc replace próximamente pendiente folgt hier buraya"
     " yakında eklenecek gelecek ... … lorem ipsum dolor amet aliqua magna"
-).split() + ["can not", "not ", "n't ", "no longer", "have ", "has ", "was ", "were ", "something", "rate limit", "unusual", "back end", "session has", "session timed", "no existe", "no se", "no está", "no tiene", "ha ocurrido", "sona erdi", "bad request", "n'a pas", "file \"", "your ", "add ", "goes here", "to follow", "to come", "to be", "will ", "coming soon", "insert", "write ", "à venir", "à compl", "à ajout", "à rédig", "por añadir", "por completar", "por definir", "wird "]
-_ODD = re.compile(r"\bscript|^\W*todo\b|\b[45]\d\d\b\W*$|^\W*[45]\d\d\b|(?<!\w)(\w\w?\w?\w?)\1{15}", re.M)
+).split() + [before + "script" for before in " \n\"'(-"] + ["can not", "not ", "n't ", "no longer", "have ", "has ", "was ", "were ", "something", "rate limit", "unusual", "back end", "session has", "session timed", "no existe", "no se", "no está", "no tiene", "ha ocurrido", "sona erdi", "bad request", "n'a pas", "file \"", "your ", "add ", "goes here", "to follow", "to come", "to be", "will ", "coming soon", "insert", "write ", "à venir", "à compl", "à ajout", "à rédig", "por añadir", "por completar", "por definir", "wird "]
+
+
+def _finder(stems: list[str]) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for x in stems:
+        found.add_word(x, x)
+    found.make_automaton()
+    return found
+
+
+_FINDER = _finder(_STEMS)
+_ODD = re.compile(r"\n[^\w\n]*(?:[45]\d\d|todo)\b")
+_ODD_KEYS = re.compile(r"[jqkwxz]{2}")
 _MASHED = re.compile(r"\b(?=[a-z]{3,}\b)(?:[^aeiouy\W]+|\w*[^aeiouy\W]{4}\w*|\w*[jqkwxz]{2}\w*|\w*q[^u\W]\w*)\b")
 _CODE_LINE = re.compile(
     r"^\s*(?:def |class |return\b|import |from \w+ import|if .*[:{]$|for .*[:{]$|while .*[:{]$|func |fmt\.|log\.|console\.|const |let |var |export |public |private |package |#include|SELECT\b|WHERE\b|AND\b|OR\b|FROM\b|JOIN\b|GROUP BY\b|ORDER BY\b|INSERT\b|UPDATE\b|[\w.\[\]]+ (?::?=|\+=) |[})\];]+\s*$|//|/\*|\*/|@\w+|# \w+_\w+|<\?php|\}? ?else)"
@@ -162,9 +175,13 @@ def _after_title(line: str) -> str:
 
 def may_hold_evidence(text: str) -> bool:
     """False only for texts in which no sentence can be evidence."""
-    low = text.lower()
+    low = "\n" + text.lower()
+    if next(_FINDER.iter(low), None) or _ODD.search(low):
+        return True
     words = low.split()
-    return any(x in low for x in _STEMS) or any(a == b == c for a, b, c in zip(words, words[2:], words[4:])) or bool(_ODD.search(low)) or len(_MASHED.findall(low)) * 3 > len(words)
+    if any(a == b == c for a, b, c in zip(words, words[2:], words[4:])) or max(map(len, words), default=0) >= 60:
+        return True
+    return bool(_ODD_KEYS.search(low)) and len(_MASHED.findall(low)) * 3 > len(words)
 
 
 def judge(text: str) -> tuple[bool, list[str]]:
