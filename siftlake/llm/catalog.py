@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from siftlake.llm import conversations, markup, packing, rankwalk, residue, tokens
+from siftlake.llm import conversations, markup, neighbours, packing, rankwalk, residue, tokens
 from siftlake.plans.session import cut, spread, table
 
 
@@ -25,6 +26,31 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.dropped_sessions(table(spark, sf, "messages"), table(spark, sf, "sessions", "session_id"))
 
 
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return cut(neighbours.with_copies(neighbours.usable_vectors(table(spark, sf, "chunk_vectors", "chunk_id", "embedding"))))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = _vectors(spark, sf)
+    return neighbours.similar_pairs(vectors, neighbours.neighbour_graph(neighbours.distinct_vectors(vectors)))
+
+
+def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten most similar chunks of every chunk, by a wider graph than near-equal pairs need."""
+    vectors = _vectors(spark, sf)
+    near = neighbours.ranked_neighbours(vectors, neighbours.neighbour_graph(neighbours.distinct_vectors(vectors), width=24), 10)
+    return near.select(F.col("id").alias("chunk_id"), "neighbour", F.round("score", 6).alias("score"), "rank")
+
+
+def p5_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Greedy search for every chunk whose id is divisible by 100, against all chunks."""
+    vectors = _vectors(spark, sf)
+    asked = vectors.filter("id % 100 = 0").select(F.col("id").alias("query"), "v")
+    near = neighbours.greedy_search(vectors, neighbours.neighbour_graph(neighbours.distinct_vectors(vectors), width=24), asked, 11).filter("query <> id")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("rank"))
+    return near.withColumn("rank", rank).filter("rank <= 10").select("query", F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), "rank")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return rankwalk.leaders(table(spark, sf, "search_hits"))
 
@@ -42,7 +68,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.condemned(spread(table(spark, sf, "documents", "doc_id", "source", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_text, p3_found, p6_found, p8_ids, p9_packed, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_text, p3_found, p5_found, p5_neighbours, p5_search, p6_found, p8_ids, p9_packed, p10_found)}
 
 ORACLE: dict[str, str] = {}
 
