@@ -11,6 +11,11 @@ from siftlake.llm import conversations, markup, neighbours, packing, rankwalk, r
 from siftlake.plans.session import cut, spread, table
 
 
+def p3_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """Every kept conversation, a row per speaking turn, in its order."""
+    return conversations.conversations(table(spark, sf, "messages"), table(spark, sf, "sessions", "session_id"))
+
+
 _FILE = ("file_id", "path", "mime_type", "content", "scanned_at")
 
 
@@ -68,7 +73,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.condemned(spread(table(spark, sf, "documents", "doc_id", "source", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_text, p3_found, p5_found, p5_neighbours, p5_search, p6_found, p8_ids, p9_packed, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_text, p3_found, p3_conversations, p5_found, p5_neighbours, p5_search, p6_found, p8_ids, p9_packed, p10_found)}
 
 ORACLE: dict[str, str] = {}
 

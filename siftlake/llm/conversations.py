@@ -47,46 +47,60 @@ def spoken_text(content: Column) -> Column:
 
 
 def latest_rows(messages: DataFrame, *carry: str) -> DataFrame:
-    """One row per msg_id, that with the latest ingested_at (ties: by its other values); rows without msg_id count once each if they differ."""
+    """One row per msg_id, that with the latest ingested_at (ties: by its other values); rows without msg_id count once each if they differ.
+
+    All values of a row travel as one struct, so that every use of these rows asks for the same exchange and Spark writes it once.
+    """
     text = spoken_text(F.col("content"))
-    rows = messages.select(
-        session_key(F.col("session_id")).alias("sid"), "msg_id", "turn_index", "prev_id", "time_created", "ingested_at",
-        speaker_code(F.col("role")).alias("code"), text.rlike(_BLANK).alias("speaks"), *[(text if c == "text" else F.col(c)).alias(c) for c in carry],
-    )
-    key = F.coalesce(F.col("msg_id"), F.xxhash64("sid", "turn_index", "prev_id", "time_created", "code", "speaks"))
-    newest = Window.partitionBy(key, F.col("msg_id").isNull()).orderBy(F.col("ingested_at").desc_nulls_last(), F.desc("speaks"), F.desc("code"), F.desc("sid"), F.desc("turn_index"), F.desc("prev_id"), F.desc("time_created"))
-    return rows.withColumn("nth", F.row_number().over(newest)).filter("nth = 1 AND sid IS NOT NULL").drop("nth", "ingested_at")
+    named = {"code": speaker_code(F.col("role")), "speaks": text.rlike(_BLANK), "sid": session_key(F.col("session_id")), **{c: text if c == "text" else F.col(c) for c in carry}}
+    whole = F.struct(F.col("ingested_at"), named["speaks"].alias("speaks"), named["code"].alias("code"), named["sid"].alias("sid"), "turn_index", "prev_id", "time_created", *[named[c].alias(c) for c in carry])
+    other = F.when(F.col("msg_id").isNull(), F.sha2(F.to_json(F.struct("session_id", "turn_index", "prev_id", "time_created", "role", "content")), 256))
+    rows = messages.select("msg_id", other.alias("other"), whole.alias("r")).groupBy("msg_id", "other").agg(F.max("r").alias("r"))
+    return rows.filter("r.sid IS NOT NULL").select("msg_id", *[F.col(f"r.{c}").alias(c) for c in ("sid", "turn_index", "prev_id", "time_created", "code", "speaks", *carry)])
+
 
+def large_sessions(messages: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """(sid) of sessions with more than `in_task` chained rows as delivered: one narrow scan, aggregated map-side."""
+    chained = messages.filter("prev_id IS NOT NULL").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    return cut(chained.groupBy(session_key(F.col("session_id")).alias("sid")).agg(F.sum("n").alias("n")).filter(F.col("n") > in_task).select("sid"))
 
-def chain_places(rows: DataFrame, in_task: int = IN_TASK) -> DataFrame:
-    """(sid, msg_id, place): how many predecessors a row has along prev_id; rows that no first row leads to come last."""
+
+def chain_places(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """(sid, msg_id, place): how many predecessors a row has along prev_id; rows that no first row leads to come last.
+
+    Sessions in `large` are walked by joins, the others within a task; both ways give the same places.
+    """
     links = rows.select("sid", "msg_id", "prev_id")
-    sizes = links.groupBy("sid").count()
-    large = sizes.filter(F.col("count") > in_task).select("sid")
     if large.isEmpty():
         return _places_in_task(links)
     return _places_in_task(links.join(large, "sid", "left_anti")).unionByName(_places_by_joins(links.join(large, "sid", "left_semi")))
 
 
 def _places_in_task(links: DataFrame) -> DataFrame:
-    """Pointer jumping over whole batches of conversations at once; a conversation arrives as two lists of numbers."""
-    lists = links.groupBy("sid").agg(F.collect_list(F.coalesce("msg_id", F.lit(-1))).alias("ids"), F.collect_list(F.coalesce("prev_id", F.lit(-1))).alias("prevs"))
+    """Pointer jumping over whole batches of conversations at once; a conversation arrives as one list of number pairs."""
+    lists = links.groupBy("sid").agg(F.collect_list(F.struct(F.col("msg_id").alias("i"), F.col("prev_id").alias("p"))).alias("links"))
 
     def jump(batches):
         for b in batches:
-            sid, ids, prevs = b.column(0), b.column(1), b.column(2)
-            lengths = np.asarray(ids.value_lengths())
-            i, p = (np.asarray(x.flatten()) for x in (ids, prevs))
+            sid, pairs = b.column(0), b.column(1)
+            lengths = np.asarray(pairs.value_lengths())
+            flat = pairs.flatten()
+            ids, prevs = flat.field("i"), flat.field("p")
+            i, p = (np.asarray(x.fill_null(0)) for x in (ids, prevs))
+            named, linked = np.asarray(ids.is_valid()), np.asarray(prevs.is_valid())
             owner = np.repeat(np.arange(len(lengths)), lengths)
-            order = np.lexsort((i, owner))
+            order = np.flatnonzero(named)
+            order = order[np.lexsort((i[order], owner[order]))]
             so, si = owner[order], i[order]
             # where (owner, prev) stands among the sorted (owner, id): ids are ranked first so that both fit one number
             known, rank = np.unique(np.concatenate([si, p]), return_inverse=True)
             width = len(known) + 1
             keys, want = so * width + rank[: len(si)], owner * width + rank[len(si) :]
             at = np.searchsorted(keys, want)
-            hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == want) & (p >= 0)
-            back = np.where(hit, order[np.minimum(at, len(keys) - 1)], -1)
+            hit = np.zeros(len(p), bool)
+            if len(keys):
+                hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == want) & linked
+            back = np.where(hit, order[np.minimum(at, len(order) - 1)] if len(order) else 0, -1)
             place = (back >= 0).astype("int64")
             for _ in range(int(lengths.max(initial=1)).bit_length() + 1):
                 live = np.flatnonzero(back >= 0)
@@ -96,7 +110,7 @@ def _places_in_task(links: DataFrame) -> DataFrame:
                 place[live] += place[to]
                 back[live] = back[to]
             place[back >= 0] = np.iinfo("int64").max  # a ring
-            yield pa.RecordBatch.from_arrays([sid.take(pa.array(owner)), pa.array(i, mask=i < 0), pa.array(place)], ["sid", "msg_id", "place"])
+            yield pa.RecordBatch.from_arrays([sid.take(pa.array(owner)), ids, pa.array(place)], ["sid", "msg_id", "place"])
 
     return lists.mapInArrow(jump, "sid string, msg_id long, place long")
 
@@ -106,15 +120,14 @@ def _places_by_joins(links: DataFrame) -> DataFrame:
     known = links.select("sid", F.col("msg_id").alias("prev_id")).distinct()
     good = links.join(known.withColumn("here", F.lit(True)), ["sid", "prev_id"], "left")
     state = cut(good.select("sid", "msg_id", F.when(F.col("here"), F.col("prev_id")).alias("back"), F.when(F.col("here"), 1).otherwise(0).cast("long").alias("place")))
-    rounds = 0
-    while rounds < 40:
+    longest = links.groupBy("sid").count().agg(F.max("count")).first()[0] or 1
+    for _ in range(int(longest).bit_length() + 1):
         moving = state.filter("back IS NOT NULL")
         if moving.isEmpty():
             break
         target = state.select("sid", F.col("msg_id").alias("back"), F.col("back").alias("back2"), F.col("place").alias("place2"))
         moved = moving.join(target, ["sid", "back"]).select("sid", "msg_id", F.col("back2").alias("back"), (F.col("place") + F.col("place2")).alias("place"))
         state = cut(state.filter("back IS NULL").unionByName(moved))
-        rounds += 1
     return state.select("sid", "msg_id", F.when(F.col("back").isNull(), F.col("place")).otherwise(F.lit(2**63 - 1)).alias("place"))
 
 
@@ -147,7 +160,7 @@ def judged(messages: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     linked = rows.filter("prev_id IS NOT NULL").select("sid", "prev_id")
     lost = linked.join(rows.select("sid", F.col("msg_id").alias("prev_id")), ["sid", "prev_id"], "left_anti").select("sid").distinct().withColumn("lost", F.lit(True))
     chained = rows.join(whole.filter("mode = 'chain'").select("sid"), "sid", "left_semi").withColumn("talk", talk)
-    placed = chain_places(chained, in_task).join(chained.filter("talk IS NOT NULL").select("sid", "msg_id", "time_created", "talk"), ["sid", "msg_id"])
+    placed = chain_places(chained, large_sessions(messages, in_task)).join(chained.filter("talk IS NOT NULL").select("sid", "msg_id", "time_created", "talk"), ["sid", "msg_id"])
     key = F.struct("place", F.col("time_created").isNull(), "time_created", "msg_id")
     ends = placed.groupBy("sid").agg(F.min_by("talk", key).alias("chain_first"), F.max_by("talk", key).alias("chain_last"))
     pick = lambda which: F.when(F.col("mode") == "turn", F.col(f"turn_{which}.talk")).when(F.col("mode") == "chain", F.col(f"chain_{which}")).otherwise(F.col(f"time_{which}.talk"))
@@ -177,6 +190,6 @@ def conversations(messages: DataFrame, sessions: DataFrame, in_task: int = IN_TA
     verdict = judged(messages, in_task).join(dropped_sessions(messages, sessions, in_task).withColumnRenamed("session_id", "sid"), "sid", "left_anti").select("sid", "mode")
     kept = rows.join(verdict, "sid")
     every = latest_rows(messages).join(verdict.filter("mode = 'chain'"), "sid", "left_semi")
-    kept = kept.join(chain_places(every, in_task), ["sid", "msg_id"], "left")
+    kept = kept.join(chain_places(every, large_sessions(messages, in_task)), ["sid", "msg_id"], "left")
     place = F.when(F.col("mode") == "turn", F.col("turn_index")).when(F.col("mode") == "chain", F.col("place")).otherwise(0).cast("long")
     return kept.select(F.col("sid").alias("session_id"), place.alias("place"), "time_created", "msg_id", F.when(F.col("code") == USER, "user").otherwise("assistant").alias("speaker"), "text")
