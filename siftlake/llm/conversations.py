@@ -53,10 +53,11 @@ def latest_rows(messages: DataFrame, *carry: str) -> DataFrame:
     """
     text = spoken_text(F.col("content"))
     named = {"code": speaker_code(F.col("role")), "speaks": text.rlike(_BLANK), "sid": session_key(F.col("session_id")), **{c: text if c == "text" else F.col(c) for c in carry}}
-    whole = F.struct(F.col("ingested_at"), named["speaks"].alias("speaks"), named["code"].alias("code"), named["sid"].alias("sid"), "turn_index", "prev_id", "time_created", *[named[c].alias(c) for c in carry])
+    whole = F.struct(F.col("ingested_at"), named["speaks"].alias("speaks"), named["code"].alias("code"), named["sid"].alias("sid"), "turn_index", "prev_id", "time_created", *[named[c].alias(c) for c in carry], "msg_id")
     other = F.when(F.col("msg_id").isNull(), F.sha2(F.to_json(F.struct("session_id", "turn_index", "prev_id", "time_created", "role", "content")), 256))
-    rows = messages.select("msg_id", other.alias("other"), whole.alias("r")).groupBy("msg_id", "other").agg(F.max("r").alias("r"))
-    return rows.filter("r.sid IS NOT NULL").select("msg_id", *[F.col(f"r.{c}").alias(c) for c in ("sid", "turn_index", "prev_id", "time_created", "code", "speaks", *carry)])
+    # the id comes out of the struct as well: a filter that a join on it implies would else sink below one exchange of several
+    rows = messages.select(F.col("msg_id").alias("key"), other.alias("other"), whole.alias("r")).groupBy("key", "other").agg(F.max("r").alias("r"))
+    return rows.filter("r.sid IS NOT NULL").select(*[F.col(f"r.{c}").alias(c) for c in ("msg_id", "sid", "turn_index", "prev_id", "time_created", "code", "speaks", *carry)])
 
 
 def large_sessions(messages: DataFrame, in_task: int = IN_TASK) -> DataFrame:
