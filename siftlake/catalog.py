@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.queries import general
+from siftlake.queries import engine, general, search
 
-_MODULES = (general,)
+_MODULES = (general, search, engine)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
