@@ -3,13 +3,12 @@
 The scan log is a change log with one partition per collection; the run number is the offset. Only runs with status
 'ok' commit an offset, so a run's batch always starts after the last committed one: what a failed run handed on is
 handed on again by the next run, and what a committed run stored is not. `pending_changes` states this for a whole
-history as one plan. `LogConsumer` is the same contract for live use: offsets per partition, a batch plan written
-ahead and replayed after a failure, and a sink that keeps one row per key and offset.
+history as one plan. `LogConsumer` is the contract itself: offsets per partition, a batch plan written ahead and replayed
+after a failure, and a sink that keeps one row per key and offset; `consume_scans` runs the scan log through it.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -106,65 +105,135 @@ def pending_changes(entries: DataFrame, runs: DataFrame, collections: DataFrame)
 class LogConsumer:
     """Exactly-once consumption of an append-only log table, across failures.
 
-    State lives under `folder` (any Hadoop file system): `offsets/NNN` holds the committed offset of every partition,
-    `plans/NNN` the batch plan (from, to per partition), written before any row is read. A plan without offsets of the
-    same number belongs to a failed batch and is replayed as written, so a late row cannot change it. The sink is a
-    parquet folder per batch, overwritten on replay; `rows` drops repeated (key, partition, offset) triples.
+    All state is in tables under `folder` (any shared Hadoop file system): `plans/NNN` holds the batch plan (partition, from,
+    to), written before any row is read, `offsets/NNN` the committed offset of every partition, `rows/batch=NNN` the sink. A
+    plan without offsets of the same number belongs to a failed batch and is replayed as written, so a row that came since
+    cannot change it; the sink of that batch is overwritten. A table counts once its writer has finished it. No plan, offset
+    or row passes through the driver. Rows that come late, at an offset committed before, and rows without an offset are
+    part of the next batch unless the sink holds their key and offset. A null partition is a partition like any other.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, key: list[str], partition: str, offset: str):
+    def __init__(self, spark: SparkSession, folder: str, key: list[str], partition: str, offset: str, latest: str | None = None, late: bool = True):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.key, self.partition, self.offset = key, partition, offset
+        self.key, self.partition, self.offset, self.latest, self.late = key, partition, offset, latest, late
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _numbers(self, kind: str) -> list[int]:
+        """Numbers of the finished tables of a kind; there is one per batch."""
         at = self._path(f"{self.folder}/{kind}")
-        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(at) if s.getPath().getName().isdigit()) if self._fs.exists(at) else []
-
-    def _read(self, kind: str, number: int) -> dict:
-        stream = self._fs.open(self._path(f"{self.folder}/{kind}/{number:09d}"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _write(self, kind: str, number: int, value: dict) -> None:
-        """Whole or not at all: written beside, then renamed."""
-        beside, final = (self._path(f"{self.folder}/{kind}/{n}") for n in (f"_{number:09d}", f"{number:09d}"))
-        stream = self._fs.create(beside, True)
-        stream.write(bytearray(json.dumps(value).encode()))
-        stream.close()
-        if not self._fs.rename(beside, final):
-            raise RuntimeError(f"{kind} {number} exists: another consumer writes to {self.folder}")
-
-    def committed(self) -> dict[str, int]:
-        numbers = self._numbers("offsets")
-        return self._read("offsets", numbers[-1]) if numbers else {}
-
-    def run(self, log: DataFrame, process: Callable[[DataFrame], DataFrame] = lambda df: df) -> int:
-        """Process what the log holds beyond the committed offsets; the number of the batch, or -1 if there is nothing new."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(int(n) for n in names if n.isdigit() and self._fs.exists(self._path(f"{self.folder}/{kind}/{n}/_SUCCESS")))
+
+    def read(self, kind: str, number: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{kind}/{number:09d}")
+
+    def write(self, kind: str, number: int, rows: DataFrame) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{kind}/{number:09d}")
+        return self.read(kind, number)
+
+    def committed(self) -> DataFrame:
+        """(partition, offset) of every partition consumed so far."""
+        done = self._numbers("offsets")
+        return self.read("offsets", done[-1]) if done else self.spark.createDataFrame([], "partition string, offset long")
+
+    def _known(self, log: DataFrame) -> DataFrame:
+        return log.select(F.col(self.partition).cast("string").alias("partition"), F.col(self.offset).cast("long").alias("offset"))
+
+    def _plan(self, offsets: DataFrame, stepwise: bool) -> DataFrame:
+        since = self.committed().select(F.col("partition").alias("p"), F.col("offset").alias("from"))
+        ahead = offsets.filter("offset IS NOT NULL").join(since, F.col("partition").eqNullSafe(F.col("p")), "left").filter(F.col("from").isNull() | (F.col("offset") > F.col("from")))
+        return ahead.groupBy("partition", "from").agg((F.min if stepwise else F.max)("offset").alias("to"))
+
+    def _late(self, log: DataFrame) -> DataFrame:
+        """Rows at offsets committed before, or at none, of which the sink knows nothing."""
+        if not self.late:
+            return log.limit(0)
+        since = self.committed().select(F.col("partition").alias("p"), F.col("offset").alias("_done"))
+        old = log.join(since, F.col(self.partition).cast("string").eqNullSafe(F.col("p")), "left").filter(F.col(self.offset).isNull() | (F.col(self.offset) <= F.col("_done"))).drop("p", "_done")
+        if not self._numbers("offsets"):
+            return old.filter(F.col(self.offset).isNull())
+        ids = [*self.key, self.partition, self.offset]
+        held = self.taken().select(*[F.col(c).alias(f"_{c}") for c in ids])
+        same = F.lit(True)
+        for c in ids:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        return old.join(held, same, "left_anti")
+
+    def run(self, log: DataFrame, process: Callable[[DataFrame, int], DataFrame] = lambda rows, _: rows, offsets: DataFrame | None = None, stepwise: bool = False) -> int:
+        """Process what the log holds beyond the committed offsets; the number of the batch, or -1 if there is nothing new.
+
+        `offsets` (partition, offset) names the offsets where not every one has rows. A batch takes all offsets that are
+        ahead or, `stepwise`, the next one of each partition.
+        """
         done, planned = self._numbers("offsets"), self._numbers("plans")
         number = done[-1] + 1 if done else 0
-        since = self.committed()
         if planned and planned[-1] == number:
-            plan = self._read("plans", number)
+            plan = self.read("plans", number)
         else:
-            # one row per partition of the log, of which there are as many as sources: small by design
-            ends = {str(r[0]): r[1] for r in log.groupBy(self.partition).agg(F.max(self.offset)).collect() if r[0] is not None and r[1] is not None}  # rows without partition or offset are no part of the log
-            plan = {p: [since.get(p), end] for p, end in ends.items() if since.get(p) is None or end > since[p]}
-            if not plan:
+            plan = self.write("plans", number, self._plan(offsets if offsets is not None else self._known(log).distinct(), stepwise))
+            if plan.isEmpty() and self._late(log).isEmpty():
+                self._fs.delete(self._path(f"{self.folder}/plans/{number:09d}"), True)
                 return -1
-            self._write("plans", number, plan)
-        spec = self.spark.createDataFrame([(p, a, b) for p, (a, b) in plan.items()], "_p string, _from long, _to long")
-        source = log.join(spec, F.col(self.partition).cast("string") == F.col("_p"))
-        source = source.filter((F.col("_from").isNull() | (F.col(self.offset) > F.col("_from"))) & (F.col(self.offset) <= F.col("_to")))
-        once = source.drop("_p", "_from", "_to").dropDuplicates([*self.key, self.partition, self.offset])
-        process(once).write.mode("overwrite").parquet(f"{self.folder}/rows/batch={number}")
-        self._write("offsets", number, since | {p: b for p, (_, b) in plan.items()})
+        spec = plan.select(F.col("partition").alias("_p"), F.col("from").alias("_from"), F.col("to").alias("_to"))
+        ahead = log.join(spec, F.col(self.partition).cast("string").eqNullSafe(F.col("_p")))
+        ahead = ahead.filter((F.col("_from").isNull() | (F.col(self.offset) > F.col("_from"))) & (F.col(self.offset) <= F.col("_to"))).drop("_p", "_from", "_to")
+        batch = ahead.unionByName(self._late(log)) if self.late else ahead
+        ids = [*self.key, self.partition, self.offset]
+        by = Window.partitionBy(*ids).orderBy(*([F.col(self.latest).desc_nulls_last()] if self.latest else []), F.xxhash64(*[c for c in batch.columns]))
+        once = batch.withColumn("_n", F.row_number().over(by)).filter("_n = 1").drop("_n")
+        if self.late:
+            self.write("taken", number, once.select(*ids))
+        self.write("rows", number, process(once, number))
+        since = self.committed().select("partition", "offset").unionByName(plan.select("partition", F.col("to").alias("offset")))
+        self.write("offsets", number, since.groupBy("partition").agg(F.max("offset").alias("offset")))
         return number
 
+    def _all(self, kind: str) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.folder}/{kind}/{n:09d}" for n in self._numbers("offsets")])
+
+    def taken(self) -> DataFrame:
+        """Keys and offsets of all rows consumed in committed batches."""
+        return self._all("taken")
+
     def rows(self) -> DataFrame:
-        """Everything processed in committed batches, once."""
-        paths = [f"{self.folder}/rows/batch={n}" for n in self._numbers("offsets")]
-        return self.spark.read.parquet(*paths).dropDuplicates([*self.key, self.partition, self.offset])
+        """What committed batches put out. There must be one."""
+        return self._all("rows")
+
+
+def consume_scans(entries: DataFrame, runs: DataFrame, collections: DataFrame, folder: str, steps: int | None = None) -> DataFrame:
+    """`pending_changes` by consuming the scan log: a partition per collection, a run as offset, a batch for each next run.
+
+    A batch compares its listings with the store of the batch before, puts out what is new or changed, and writes the store
+    that follows: that of the listings where the run committed, else the one before. Started again over the same folder it
+    goes on, or replays the batch that failed. `steps` ends it after so many batches (for tests).
+    """
+    spark = entries.sparkSession
+    order = Window.partitionBy("collection_id").orderBy("run_no", "run_id")
+    ok = F.coalesce((F.lower(F.trim("status")) == "ok").cast("int"), F.lit(0))
+    timeline = runs.filter("run_id IS NOT NULL AND collection_id IS NOT NULL").select("run_id", "collection_id", ok.alias("commits"), F.row_number().over(order).alias("seq"))
+    consumer = LogConsumer(spark, folder, ["path"], "collection_id", "seq", late=False)
+    logged = consumer._path(f"{folder}/log/_SUCCESS")
+    if not consumer._fs.exists(logged):  # the log by offset, so that a batch reads its own runs alone
+        listed = listed_entries(entries, runs, collections).select("run_id", "path", "hash", "us").join(timeline, "run_id")
+        listed.write.mode("overwrite").partitionBy("seq").parquet(f"{folder}/log")
+    log = spark.read.schema("run_id long, path string, hash string, us long, collection_id long, commits int, seq int").parquet(f"{folder}/log")
+    offsets = timeline.select(F.col("collection_id").cast("string").alias("partition"), F.col("seq").cast("long").alias("offset"))
+    empty = spark.createDataFrame([], "collection_id long, path string, hash string, us long")
+
+    def process(batch: DataFrame, number: int) -> DataFrame:
+        store = consumer.read("store", number - 1) if number else empty
+        held = store.select("collection_id", "path", F.col("hash").alias("old_hash"), F.col("us").alias("old_us"), F.lit(True).alias("held"))
+        both = batch.join(held, ["collection_id", "path"], "left")
+        later = (F.col("us") - F.col("old_us") >= 1000) | (F.col("us").isNotNull() & F.col("old_us").isNull())
+        changed = F.col("hash").isNotNull() & ~F.col("hash").eqNullSafe(F.col("old_hash"))
+        went = consumer.read("plans", number).select(F.col("partition").cast("long").alias("collection_id"), F.col("to").cast("int").alias("seq"))
+        closed = timeline.filter("commits = 1").join(went, ["collection_id", "seq"]).select("collection_id")
+        grown = both.filter("commits = 1").select("collection_id", "path", "hash", F.greatest("us", "old_us").alias("us"))
+        consumer.write("store", number, store.join(closed, "collection_id", "left_anti").select("collection_id", "path", "hash", "us").unionByName(grown))
+        return both.filter(F.col("held").isNull() | changed | F.coalesce(later, F.lit(False))).select(F.col("run_id").cast("long"), F.col("collection_id").cast("long"), "path")
+
+    done = 0
+    while (steps is None or done < steps) and consumer.run(log.filter(F.col("seq") == len(consumer._numbers("offsets")) + 1), process, offsets, stepwise=True) >= 0:
+        done += 1
+    return consumer.rows() if consumer._numbers("offsets") else spark.createDataFrame([], "run_id long, collection_id long, path string")

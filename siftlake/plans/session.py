@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +20,7 @@ def build_session(cpus: int | str = "*", app: str = "siftlake", memory: str = "8
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.parquet.compression.codec", "zstd")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "8")  # local only: a cluster's own setting holds in its session
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -33,12 +33,22 @@ def table(spark: SparkSession, base: str, name: str, *columns: str) -> DataFrame
     return df.select(*columns) if columns else df
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; set a private one only where it is unset (tests)."""
-    if spark.sparkContext.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="siftlake-ckpt-", dir=os.environ.get("TMPDIR")))
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the one set, or the one the cluster names in spark.checkpoint.dir.
+
+    Only a local session, where driver and executors share one disk, may do without; a cluster must name a folder.
+    """
+    if not spark.sparkContext.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith(("local[", "local-cluster[")) and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="siftlake-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for the tables of one operator, below the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -47,7 +57,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, columns_bytes: int = 0) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Input of one large file in few splits, dealt to as many tasks as there are cores before costly Python work."""
     want = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)

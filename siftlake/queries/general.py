@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions.instants import instant_millis
-from siftlake.operators.changes import pending_changes
+from siftlake.operators.changes import consume_scans
 from siftlake.operators.drift import consistent_table, schema_changes
-from siftlake.plans.session import table
+from siftlake.plans.session import table, work_folder
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return pending_changes(table(spark, sf, "scan_entries"), table(spark, sf, "sync_runs"), table(spark, sf, "collections"))
+    return consume_scans(table(spark, sf, "scan_entries"), table(spark, sf, "sync_runs"), table(spark, sf, "collections"), work_folder(spark, "scans"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

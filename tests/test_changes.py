@@ -1,12 +1,11 @@
 import datetime as dt
-import json
-import os
+import shutil
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from siftlake.operators.changes import LogConsumer, canonical_hash, mtime_micros, pending_changes
+from siftlake.operators.changes import LogConsumer, canonical_hash, consume_scans, mtime_micros, pending_changes
 from siftlake.plans.session import table
 
 E_SCHEMA = "entry_id long, run_id long, collection_id long, path string, content_hash string, mtime double, cursor_value string, line_count int, seen_at timestamp"
@@ -96,22 +95,47 @@ def test_empty_tables(spark):
 
 def test_consumer_replays_a_failed_batch(spark, tmp_path):
     log = lambda rows: spark.createDataFrame(rows, "part string, off long, k string, v int")
-    c = LogConsumer(spark, str(tmp_path / "c"), ["k"], "part", "off")
-    first = [("a", 1, "x", 1), ("a", 2, "y", 2), ("a", 2, "y", 2), ("b", 1, "z", 3), (None, 1, "n", 0)]
+    c = LogConsumer(spark, str(tmp_path / "c"), ["k"], "part", "off", latest="v")
+    first = [("a", 1, "x", 1), ("a", 2, "y", 2), ("a", 2, "y", 9), ("b", 1, "z", 3), (None, 1, "n", 0)]
     assert c.run(log(first)) == 0
     assert c.run(log(first)) == -1
+    assert {(r.k, r.v) for r in c.rows().collect()} == {("x", 1), ("y", 9), ("z", 3), ("n", 0)}
     second = [*first, ("a", 3, "x", 4)]
 
-    def breaks(df):
+    def breaks(rows, number):
         raise RuntimeError("lost")
 
     with pytest.raises(RuntimeError):
         c.run(log(second), breaks)
-    assert sorted((r.part, r.off) for r in c.rows().collect()) == [("a", 1), ("a", 2), ("b", 1)]
+    assert c.rows().count() == 4
     # rows that came since the plan was written wait for the next batch
     third = [*second, ("a", 4, "x", 5)]
     assert c.run(log(third)) == 1
     assert max(r.off for r in c.rows().collect() if r.part == "a") == 3
-    assert c.run(log(third)) == 2 and c.committed() == {"a": 4, "b": 1}
-    assert c.rows().count() == 5
-    assert json.loads(open(os.path.join(tmp_path, "c/plans/000000001")).read()) == {"a": [2, 3]}
+    assert c.run(log(third)) == 2 and {(r.partition, r.offset) for r in c.committed().collect()} == {("a", 4), ("b", 1), (None, 1)}
+    # late: an offset committed before, and none at all; neither is skipped, neither comes twice
+    fourth = [*third, ("a", 2, "late", 6), ("b", None, "none", 7)]
+    assert c.run(log(fourth)) == 3 and c.run(log(fourth)) == -1
+    assert c.rows().count() == 8 and {"late", "none"} <= {r.k for r in c.rows().collect()}
+
+
+def test_the_log_consumer_gives_the_rows_of_the_window_plan(spark, small, tmp_path):
+    e, r, c = (table(spark, small, n) for n in ("scan_entries", "sync_runs", "collections"))
+    want = sorted(tuple(x) for x in pending_changes(e, r, c).collect())
+    assert sorted(tuple(x) for x in consume_scans(e, r, c, str(tmp_path / "a")).collect()) == want
+    # stopped and started again, with a batch planned and begun but not committed
+    consume_scans(e, r, c, str(tmp_path / "b"), steps=3)
+    shutil.copytree(tmp_path / "b/plans/000000002", tmp_path / "b/plans/000000003", dirs_exist_ok=True)
+    shutil.rmtree(tmp_path / "b/plans/000000003")
+    shutil.rmtree(tmp_path / "b/offsets/000000002")  # the commit of the third batch is lost: it is replayed
+    assert sorted(tuple(x) for x in consume_scans(e, r, c, str(tmp_path / "b")).collect()) == want
+
+
+def test_a_committed_run_that_lists_nothing_empties_the_store(spark, tmp_path):
+    runs = [(1, 7, 1, "ok", None, None), (2, 7, 2, "ok", None, None), (3, 7, 3, "ok", None, None)]
+    entries = [(1, 1, 7, "a", "x", None, None, None, at(1)), (2, 3, 7, "a", "x", None, None, None, at(3))]
+    found = frames(spark, entries, runs, [(7, "code", None)], extra=True)
+    want = {(1, "a"), (3, "a")}
+    assert {(x.run_id, x.path) for x in pending_changes(*found).collect()} == want
+    assert {(x.run_id, x.path) for x in consume_scans(*found, str(tmp_path / "s")).collect()} == want
+    assert consume_scans(*frames(spark, [], [], []), str(tmp_path / "e")).count() == 0
