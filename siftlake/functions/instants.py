@@ -24,7 +24,7 @@ MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 _TIME = r"(?<h{n}>\d{{1,2}}):(?<mi{n}>\d{{2}})(?::(?<s{n}>\d{{2}})(?:[.,](?<f{n}>\d{{1,12}}))?)?"
 _ZONE = r"\s*(?:(?<off{n}>[+-]\d{{2}}:?\d{{2}}|[+-]\d{{2}})|\[?(?<reg{n}>[a-z]+(?:/[a-z0-9_+-]+)+)\]?|(?<abb{n}>[a-z]{{1,5}}))?"
-_HALF = r"(?:\s*(?<ap{n}>[ap])\.?m\.?)?"
+_HALF = r"(?:\s*(?<ap{n}>[ap])\.?m(?![a-z])\.?)?"
 
 
 def _branch(n: str, date: str) -> str:
@@ -106,8 +106,9 @@ def instant_micros(text: Column, zone: Column | None = None, date_order: Column
     zone = F.lit(None).cast("string") if zone is None else zone
     order = F.lit(None).cast("string") if date_order is None else F.lower(date_order)
     clean = trimmed(text)
-    joined = F.when(clean.rlike(PATTERN), F.regexp_replace(clean, PATTERN, _REPLACEMENT))
-    return F.transform(F.array(F.split(joined, _SEP)), lambda p: _assembled(p, zone, order))[0]
+    # matched once: a text that does not match comes out unchanged, as a single part
+    parts = F.split(F.regexp_replace(F.replace(clean, F.lit(_SEP), F.lit(" ")), PATTERN, _REPLACEMENT), _SEP)
+    return F.transform(F.array(parts), lambda p: F.when(F.size(p) == len(_PARTS), _assembled(p, zone, order)))[0]
 
 
 def _assembled(parts: Column, zone: Column, order: Column) -> Column:

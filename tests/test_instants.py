@@ -53,3 +53,11 @@ def test_every_hour_of_a_year_against_zoneinfo(spark):
         for w, g in zip(walls, got, strict=True):
             t = w.replace(tzinfo=zoneinfo.ZoneInfo(zone), fold=0).astimezone(dt.UTC)
             assert g == int(t.timestamp()) * 1000 + 987
+
+
+def test_unbracketed_zone_names_after_the_time(spark):
+    zones = ["America/New_York", "Asia/Kathmandu", "Australia/Sydney", "Africa/Cairo", "Atlantic/Reykjavik", "Pacific/Auckland", "Europe/Berlin", "Antarctica/Troll", "Arctic/Longyearbyen", "Indian/Maldives", "America/Argentina/Buenos_Aires"]
+    day = dt.datetime(2025, 5, 13, 3, 49)
+    rows = [(f"2025-05-13 {clock}{gap}{zone}", int(day.replace(hour=hour, tzinfo=zoneinfo.ZoneInfo(zone)).timestamp() * 1000)) for zone in zones for clock, hour in (("03:49", 3), ("03:49 PM", 15), ("03:49am", 3)) for gap in (" ", "  ")]
+    got = spark.createDataFrame(rows, "t string, want long").select("t", "want", instant_millis(F.col("t"))).collect()
+    assert [tuple(r) for r in got if r[1] != r[2]] == []
