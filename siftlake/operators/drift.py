@@ -11,6 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlake.plans.session import cut
+
+#: Fields up to this many are sent to every task to pick their values; more are joined.
+FEW = 100_000
 _TYPE_BITS = {"string": 1, "number": 2, "boolean": 4, "array": 8, "object": 16}
 
 
@@ -57,13 +61,13 @@ def schema_changes(exports: DataFrame) -> DataFrame:
     wins, then the names' order. Empty tables give no rows.
     """
     values = path_values(exports)
-    stats = field_statistics(values)
+    stats = cut(field_statistics(values))  # small, and read by all that follows: payloads are parsed here and for renames alone
     files = exports.select("stream_id", F.col("file_seq").cast("long")).filter("stream_id IS NOT NULL AND file_seq IS NOT NULL").distinct()
     pairs = files.join(files.select("stream_id", (F.col("file_seq") + 1).alias("file_seq")), ["stream_id", "file_seq"], "left_semi")
     keys = ["stream_id", "file_seq", "table_name", "field"]
     now = stats.select(*keys, F.col("types").alias("types_now"))
     before = stats.select("stream_id", (F.col("file_seq") + 1).alias("file_seq"), "table_name", "field", F.col("types").alias("types_before"))
-    both = now.join(before, keys, "full_outer").join(pairs, ["stream_id", "file_seq"], "left_semi")
+    both = cut(now.join(before, keys, "full_outer").join(pairs, ["stream_id", "file_seq"], "left_semi"))
     table = Window.partitionBy("stream_id", "file_seq", "table_name")
     seen = both.select(
         *keys, "types_now", "types_before",
@@ -87,20 +91,32 @@ def _renames(values: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
     """(stream_id, file_seq, table_name, field_name, new_name), one-to-one; file_seq is that of the later file."""
     at = ["stream_id", "file_seq", "table_name"]
     # only tables that both lose and gain a field can have renamed one
-    gone = gone.join(come, at, "left_semi")
-    come = come.join(gone, at, "left_semi")
-    typed = values.filter("record_id IS NOT NULL AND value IS NOT NULL").select(*at, "record_id", "field", "value").distinct()
-    old = typed.withColumn("file_seq", F.col("file_seq") + 1).join(gone, [*at, "field"], "left_semi").select(*at, "record_id", F.col("field").alias("field_name"), F.col("value").alias("old"))
-    new = typed.join(come, [*at, "field"], "left_semi").select(*at, "record_id", F.col("field").alias("new_name"), F.col("value").alias("new"))
-    scored = (
+    gone = gone.join(come.select(at), at, "left_semi")
+    come = come.join(gone.select(at), at, "left_semi")
+    asked = cut(gone.select(*at, "field", F.lit(True).alias("is_old")).unionByName(come.select(*at, "field", F.lit(False).alias("is_old"))))
+    if asked.count() <= FEW:
+        asked = F.broadcast(asked)
+    # values of the fields asked for alone; an old field's stand in the file before
+    typed = values.filter("record_id IS NOT NULL AND value IS NOT NULL").select(*at, "record_id", "field", "value")
+    typed = typed.withColumn("is_old", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("file_seq", F.col("file_seq") + F.col("is_old").cast("int"))
+    typed = typed.join(asked, [*at, "field", "is_old"]).distinct()
+    old = typed.filter("is_old").select(*at, "record_id", F.col("field").alias("field_name"), F.col("value").alias("old"))
+    new = typed.filter("NOT is_old").select(*at, "record_id", F.col("field").alias("new_name"), F.col("value").alias("new"))
+    left = cut(
         old.join(new, [*at, "record_id"])
         .groupBy(*at, "field_name", "new_name")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.col("old") == F.col("new")).alias("equal"))
-        .filter("equal")
-    )
+        .filter("equal").drop("equal")
+    )
     by_old = Window.partitionBy(*at, "field_name").orderBy(F.desc("n"), "new_name")
     by_new = Window.partitionBy(*at, "new_name").orderBy(F.desc("n"), "field_name")
-    return scored.withColumn("a", F.row_number().over(by_old)).filter("a = 1").withColumn("b", F.row_number().over(by_new)).filter("b = 1").select(*at, "field_name", "new_name")
+    chosen = left.select(*at, "field_name", "new_name").limit(0)
+    # pairs that prefer each other are taken; a field that lost its first choice gets another if one is left
+    while not left.isEmpty():
+        best = left.withColumn("a", F.row_number().over(by_old)).withColumn("b", F.row_number().over(by_new)).filter("a = 1 AND b = 1").select(*at, "field_name", "new_name")
+        chosen = cut(chosen.unionByName(best))
+        left = cut(left.join(chosen.select(*at, "field_name"), [*at, "field_name"], "left_anti").join(chosen.select(*at, "new_name"), [*at, "new_name"], "left_anti"))
+    return chosen
 
 
 def _columns(pairs: dict[tuple[str, str], int], together: list[set[str]]) -> dict[str, str]:
