@@ -1,0 +1 @@
+"""Continuous syncs: file listings and logs as streams."""
