@@ -52,9 +52,15 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of `df`, computed once and written to the shared checkpoint folder, with the lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows of `df`, computed once and written as a table to the shared folder, with the lineage cut.
+
+    A table and not a checkpoint: a checkpoint keeps the size estimates of its plan, which a loop of joins multiplies with
+    every round until planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    folder = work_folder(spark, "cut")
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def spread(df: DataFrame) -> DataFrame:
