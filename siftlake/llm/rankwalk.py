@@ -9,90 +9,119 @@ A step needs, for every item, the mass of all items below it: prefix sums over e
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.plans.session import cut
 
 DAMPING = 0.85
-#: Groups up to this many items are walked in one task (24 bytes an item and score); larger ones are walked by joins.
-IN_TASK = 1_000_000
+#: The walk ends when no item's mass, as a multiple of the mean, still moves by so much; masses are compared to so many digits of that.
+TOLERANCE, DIGITS, ROUNDS = 1e-11, 9, 600
+#: Groups up to this many items are walked in one task (24 bytes an item and score), many small ones at once in about so many rows; larger ones are walked by joins.
+IN_TASK, BATCH = 1_000_000, 50_000
 
 
-def stationary(scores: np.ndarray, damping: float = DAMPING, tolerance: float = 1e-12, rounds: int = 400) -> np.ndarray:
-    """The walk's stationary distribution over the rows of `scores` (items x scores, higher is better, NaN: no score).
+def walk(groups: np.ndarray, scores: np.ndarray, damping: float = DAMPING) -> np.ndarray:
+    """Stationary mass, as a multiple of the mean of its group, of each row of `scores` (items x scores, higher is better, NaN: none).
 
-    An item without a score ranks below all items that have it, equal to the others without.
+    `groups` numbers the groups from 0; all walk at once, by prefix sums over each score sorted within its group. An item without a
+    score ranks below all items that have it, equal to the others without.
     """
     n, k = scores.shape
+    size = np.bincount(groups)
+    mine = size[groups].astype("float64")
     sides = []
     for s in np.where(np.isnan(scores), -np.inf, scores).T:
-        order = np.argsort(-s, kind="stable")
-        down = -s[order]
-        sides.append((order, np.searchsorted(down, down, "left"), np.searchsorted(down, down, "right")))
-    mass = np.full(n, 1 / n)
-    for _ in range(rounds):
+        order = np.lexsort((-s, groups))
+        g, v = groups[order], s[order]
+        first = np.append(True, g[1:] != g[:-1])
+        fresh = first | np.append(True, v[1:] != v[:-1])
+        run = np.cumsum(fresh) - 1  # stretches of equal score
+        begins = np.flatnonzero(fresh)
+        start = np.flatnonzero(first)[g]
+        end = np.append(np.flatnonzero(first)[1:], n)[g]  # of the group
+        through = np.append(begins[1:], n)[run]
+        higher = begins[run] - start
+        sides.append((order, through, end, 1 - higher / mine[order], mine[order]))
+    mass = np.ones(n)
+    for _ in range(ROUNDS):
         step = np.zeros(n)
-        for order, higher, through in sides:
+        for order, through, end, stay, m in sides:
             here = mass[order]
-            below = np.append(np.cumsum(here[::-1])[::-1], 0.0)[through]
-            step[order] += below / n + here * (1 - higher / n)
-        step = damping * step / k + (1 - damping) / n
-        moved = np.abs(step - mass).sum()
+            total = np.append(0.0, np.cumsum(here))
+            step[order] += (total[end] - total[through]) / m + here * stay
+        step = damping * step / k + (1 - damping)
+        moved = np.abs(step - mass).max(initial=0.0)
         mass = step
-        if moved < tolerance:
+        if moved < TOLERANCE:
             break
     return mass
 
 
+def stationary(scores: np.ndarray, damping: float = DAMPING) -> np.ndarray:
+    """`walk` over one group, as a distribution."""
+    return walk(np.zeros(len(scores), "int64"), np.asarray(scores, "float64"), damping) / max(len(scores), 1)
+
+
 def fuse(items: DataFrame, group: str, item: str, scores: list[str], damping: float = DAMPING, in_task: int = IN_TASK) -> DataFrame:
     """(group, item, mass, place): one row per item, place 1 leads; equal mass is ordered by item.
 
     `items` has one row per group and item; null and NaN are no score. A group whose items have no score at all is
-    ordered by item. Groups beyond `in_task` items are walked with distributed prefix sums and give the same order.
+    ordered by item. mass is a multiple of the group's mean. Groups beyond `in_task` items are walked with distributed
+    prefix sums, under the same rule of ending, and give the same order.
     """
-    clean = items.select(group, item, *[F.nanvl(F.col(s).cast("double"), F.lit(None).cast("double")).alias(s) for s in scores])
+    clean = cut(items.select(group, item, *[F.nanvl(F.col(s).cast("double"), F.lit(None).cast("double")).alias(s) for s in scores]))
     sizes = clean.groupBy(group).count()
     large = sizes.filter(F.col("count") > in_task).select(group)
-    schema = f"`{group}` {dict(items.dtypes)[group]}, `{item}` {dict(items.dtypes)[item]}, mass double"
+    kinds = dict(clean.dtypes)
 
-    def walk(batch: pd.DataFrame) -> pd.DataFrame:
-        out = batch[[group, item]].copy()
-        out["mass"] = stationary(batch[scores].to_numpy("float64"), damping)
-        return out
+    def run(t: pa.Table) -> pa.Table:
+        _, numbers = np.unique(np.asarray(t.column(group).combine_chunks().dictionary_encode().indices), return_inverse=True)
+        values = np.column_stack([t.column(s).to_numpy() for s in scores])
+        return pa.table([t.column(group), t.column(item), pa.array(walk(numbers, values, damping))], [group, item, "mass"])
 
-    if large.isEmpty():
-        walked = clean.groupBy(group).applyInPandas(walk, schema)
-    else:
-        walked = clean.join(large, group, "left_anti").groupBy(group).applyInPandas(walk, schema)
+    small = clean if large.isEmpty() else clean.join(large, clean[group].eqNullSafe(large[group]), "left_anti")
+    buckets = max(1, -(-clean.count() // BATCH))
+    walked = small.withColumn("_bucket", F.pmod(F.xxhash64(group), F.lit(buckets))).groupBy("_bucket").applyInArrow(lambda t: run(t), f"`{group}` {kinds[group]}, `{item}` {kinds[item]}, mass double")
+    if small is not clean:
         walked = walked.unionByName(_walk_by_joins(clean.join(large, group, "left_semi"), group, item, scores, damping))
-    # masses that differ by rounding alone are equal
-    by = Window.partitionBy(group).orderBy(F.round("mass", 12).desc(), item)
+    by = Window.partitionBy(group).orderBy(F.round("mass", DIGITS).desc(), item)  # masses that differ by rounding alone are equal
     return walked.withColumn("place", F.row_number().over(by))
 
 
-def _walk_by_joins(items: DataFrame, group: str, item: str, scores: list[str], damping: float, rounds: int = 80) -> DataFrame:
-    """The same walk for groups of any size: each score is range-partitioned once, and a step adds block sums to sums within a block."""
-    long = items.select(group, item, F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.coalesce(F.col(s), F.lit(float("-inf"))).alias("s")) for i, s in enumerate(scores)])).alias("x")).select(group, item, "x.*")
-    placed = cut(long.repartitionByRange(group, "side", "s").withColumn("block", F.spark_partition_id()))
-    up = Window.partitionBy(group, "side").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy(group, "side", "block").orderBy("s").rangeBetween(Window.unboundedPreceding, 0)
-    equal = Window.partitionBy(group, "side", "block", "s")
-    blocks = placed.groupBy(group, "side", "block").agg(F.count(F.lit(1)).alias("n"))
+def _walk_by_joins(items: DataFrame, group: str, item: str, scores: list[str], damping: float) -> DataFrame:
+    """The same walk for groups of any size. Prefix sums go over the distinct values of a score, range-partitioned into blocks: a
+    value that a third of the items share is one row. Items without a score hold what mass the others leave."""
+    k = len(scores)
     sizes = items.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    before = blocks.withColumn("lower_blocks", F.coalesce(F.sum("n").over(up), F.lit(0))).drop("n")
-    ranked = placed.join(before, [group, "side", "block"]).join(sizes, group)
-    ranked = cut(ranked.withColumn("higher", F.col("size") - F.col("lower_blocks") - F.count(F.lit(1)).over(within)).drop("lower_blocks"))
-    mass = items.join(sizes, group).select(group, item, (1 / F.col("size")).alias("mass"))
-    for i in range(rounds):
-        now = ranked.join(mass, [group, item])
-        sums = now.groupBy(group, "side", "block").agg(F.sum("mass").alias("sum")).withColumn("under", F.coalesce(F.sum("sum").over(up), F.lit(0.0))).drop("sum")
-        below = F.col("under") + F.sum("mass").over(within) - F.sum("mass").over(equal)
-        step = now.join(sums, [group, "side", "block"]).withColumn("flow", below / F.col("size") + F.col("mass") * (1 - F.col("higher") / F.col("size")))
-        mass = step.groupBy(group, item).agg((damping * F.sum("flow") / len(scores) + (1 - damping) / F.max("size")).alias("mass"))
-        if i % 4 == 3:
-            mass = cut(mass)
+    sides = F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("side"), F.col(s).alias("s")) for i, s in enumerate(scores)]), lambda x: x["s"].isNotNull())).alias("x")
+    scored = items.select(group, item, sides).select(group, item, "x.*")
+    values = scored.groupBy(group, "side", "s").agg(F.count(F.lit(1)).alias("n"))
+    values = cut(values.repartitionByRange(group, "side", "s").withColumn("block", F.spark_partition_id()))
+    lower = Window.partitionBy(group, "side").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(group, "side", "block").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    known = values.groupBy(group, "side").agg(F.sum("n").alias("n_scored"))
+    under = values.groupBy(group, "side", "block").agg(F.sum("n").alias("n")).withColumn("n_under", F.coalesce(F.sum("n").over(lower), F.lit(0))).drop("n")
+    places = cut(values.join(under, [group, "side", "block"]).join(known, [group, "side"]).withColumn("higher", F.col("n_scored") - F.col("n_under") - F.sum("n").over(upto)).select(group, "side", "s", "block", "higher"))
+    whole = F.array(*[F.lit(i) for i in range(k)])
+    at = cut(items.select(group, item, F.explode(whole).alias("side")).join(scored, [group, item, "side"], "left").join(known, [group, "side"], "left").join(sizes, group))
+    at = cut(at.join(places.select(group, "side", "s", "block", "higher"), [group, "side", "s"], "left").select(group, item, "side", "s", "block", "size", F.coalesce("higher", "n_scored", F.lit(0)).alias("higher")))
+    mass = items.select(group, item, F.lit(1.0).alias("mass"))
+    for i in range(ROUNDS):
+        now = cut(at.join(mass, [group, item]))
+        per_value = now.filter("s IS NOT NULL").groupBy(group, "side", "s", "block").agg(F.sum("mass").alias("here"))
+        in_block = per_value.withColumn("before", F.sum("here").over(upto) - F.col("here"))
+        blocks = per_value.groupBy(group, "side", "block").agg(F.sum("here").alias("sum")).withColumn("under", F.coalesce(F.sum("sum").over(lower), F.lit(0.0))).drop("sum")
+        bare = now.filter("s IS NULL").groupBy(group, "side").agg(F.sum("mass").alias("bare"))
+        below = in_block.join(blocks, [group, "side", "block"]).join(bare, [group, "side"], "left").select(group, "side", "s", (F.col("before") + F.col("under") + F.coalesce("bare", F.lit(0.0))).alias("below"))
+        flow = F.coalesce("below", F.lit(0.0)) / F.col("size") + F.col("mass") * (1 - F.col("higher") / F.col("size"))
+        step = now.join(below, [group, "side", "s"], "left").groupBy(group, item).agg((damping * F.sum(flow) / k + (1 - damping)).alias("mass"), F.max("mass").alias("was"))
+        step = cut(step)
+        moved = step.agg(F.max(F.abs(F.col("mass") - F.col("was")))).first()[0]
+        mass = step.drop("was")
+        if moved is None or moved < TOLERANCE:
+            break
     return mass
 
 
@@ -119,4 +148,4 @@ def leaders(hits: DataFrame, top: int = 3) -> DataFrame:
     return ranked.filter(F.col("place") <= top).select(F.col("query_id").cast("long"), F.col("doc_id").cast("long"))
 
 
-__all__ = ["best_scores", "fuse", "leaders", "stationary"]
+__all__ = ["best_scores", "fuse", "leaders", "stationary", "walk"]
