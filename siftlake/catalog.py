@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.queries import engine, general, search
+from siftlake.queries import engine, general, search, store
 
-_MODULES = (general, search, engine)
+_MODULES = (general, search, engine, store)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
