@@ -21,7 +21,7 @@ from siftlake.plans.session import cut
 
 DIMENSIONS = 64
 #: Vectors the driver fits the forest on, trees, vectors in a leaf, rows of a leaf in one task, and neighbours kept while descending.
-SAMPLE, TREES, LEAF, CHUNK, WIDTH = 20_000, 8, 500, 4_000, 12
+SAMPLE, TREES, LEAF, CHUNK, WIDTH = 20_000, 6, 500, 4_000, 12
 #: Neighbours of a vertex joined at once (a hub is joined in several lots), rounds at most, vertices in one task's group.
 LOT, ROUNDS, BUCKET = 64, 4, 2_000
 #: Rounds end when fewer than this share of the kept neighbours is new.
@@ -202,13 +202,14 @@ def neighbour_graph(vectors: DataFrame, width: int = WIDTH, trees: int = TREES,
     some = small.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
     if not len(some):
         return small.select("id", "q", F.array().cast("array<long>").alias("near"), F.array().cast("array<float>").alias("score"), F.array().cast("array<boolean>").alias("fresh"))
-    forest = spark.sparkContext.broadcast(fit_forest(_from_bytes(pa.array(some["q"]), dimensions), trees, max(4, leaf * len(some) // n)))
+    forest = spark.sparkContext.broadcast(vars(fit_forest(_from_bytes(pa.array(some["q"]), dimensions), trees, max(4, leaf * len(some) // n))))  # plain arrays, so that executors need no copy of this package
 
     def placed(batches):
+        fitted = Forest(**forest.value)
         for b in batches:
             x = _from_bytes(b.column(1), dimensions)
             for t in range(trees):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, "int32")), pa.array(forest.value.leaves(x, t).astype("int32")), b.column(0), b.column(1)], ["tree", "leaf", "id", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, "int32")), pa.array(fitted.leaves(x, t).astype("int32")), b.column(0), b.column(1)], ["tree", "leaf", "id", "q"])
 
     where = small.mapInArrow(placed, "tree int, leaf int, id long, q binary")
     # a leaf may hold any share of all rows (equal vectors): its rows are dealt to lots of at most `chunk`
@@ -271,18 +272,27 @@ def _joined(state: DataFrame, width: int, buckets: int, dimensions: int) -> Data
     return both.groupBy("bucket").applyInArrow(lambda t: local(t), "a long, b long, s float")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine in double precision; vectors are scaled by their largest component first, so no square overflows."""
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.array_max(F.transform(v, lambda y: F.abs(y.cast("double")))))
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
-    norm = lambda v: F.sqrt(total(F.transform(unit(v), lambda x: x * x)))
-    return total(F.zip_with(unit(a), unit(b), lambda x, y: x * y)) / (norm(a) * norm(b))
+def with_cosine(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` of `rows` (which has the vectors _va and _vb) and their cosine in double precision as `score`.
+
+    Vectors are scaled by their largest component first, so that no square overflows.
+    """
+    kinds = dict(rows.dtypes)
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.asarray(b.column(len(keep) + i).flatten(), "float64").reshape(b.num_rows, -1) for i in (0, 1))
+            x, y = (v / np.abs(v).max(1, keepdims=True, initial=1e-300) for v in (x, y))
+            score = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(score)], [*keep, "score"])
+
+    return rows.select(*keep, "_va", "_vb").mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "score double"]))
 
 
 def exact_scores(pairs: DataFrame, vectors: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """`pairs` with `score`, the cosine of the vectors of its two ids as they are given."""
+    """(left, right, score) of `pairs`, the cosine of the vectors of their two ids as they are given."""
     v = lambda side, name: vectors.select(F.col("id").alias(side), F.col("v").alias(name))
-    return pairs.join(v(left, "_va"), left).join(v(right, "_vb"), right).withColumn("score", cosine(F.col("_va"), F.col("_vb"))).drop("_va", "_vb")
+    return with_cosine(pairs.select(left, right).join(v(left, "_va"), left).join(v(right, "_vb"), right), [left, right])
 
 
 def with_copies(vectors: DataFrame) -> DataFrame:
@@ -333,18 +343,18 @@ def greedy_search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: i
     links = cut(links.unionByName(links.select(F.col("near").alias("id"), F.col("id").alias("near"))).distinct())
     gate = vectors.orderBy(F.xxhash64("id"), "id").limit(entries)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    found = asked.join(F.broadcast(gate)).select("query", "id", cosine(F.col("qv"), F.col("v")).alias("score"), F.lit(False).alias("done"))
+    found = with_cosine(asked.withColumnRenamed("qv", "_va").join(F.broadcast(gate.withColumnRenamed("v", "_vb"))), ["query", "id"]).withColumn("done", F.lit(False))
     found = cut(found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= beam).drop("n"))
     for _ in range(rounds):
         open_ = found.filter("NOT done")
         if open_.isEmpty():
             break
         step = open_.select("query", "id").join(links, "id").select("query", F.col("near").alias("id")).distinct().join(found.select("query", "id"), ["query", "id"], "left_anti")
-        scored = step.join(vectors, "id").join(asked, "query").select("query", "id", cosine(F.col("qv"), F.col("v")).alias("score"), F.lit(False).alias("done"))
+        scored = with_cosine(step.join(vectors.withColumnRenamed("v", "_vb"), "id").join(asked.withColumnRenamed("qv", "_va"), "query"), ["query", "id"]).withColumn("done", F.lit(False))
         every = found.withColumn("done", F.lit(True)).unionByName(scored)
         found = cut(every.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= beam).drop("n"))
     every = found.select("query", F.col("id").alias("rep"), "score").join(copies, "rep")
     return every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query", "id", "score", "rank")
 
 
-__all__ = ["cosine", "exact_scores", "greedy_search", "neighbour_graph", "ranked_neighbours", "similar_pairs", "usable_vectors"]
+__all__ = ["exact_scores", "greedy_search", "neighbour_graph", "ranked_neighbours", "similar_pairs", "usable_vectors", "with_cosine"]

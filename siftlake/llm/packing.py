@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items packed in one task.
-SHARD = 50_000
+#: Items packed in one task, and how many limits there may be: they are parameters and go into the plan.
+SHARD, MOST_LIMITS = 50_000, 1_000
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -48,12 +48,17 @@ def pack(items: DataFrame, limits: DataFrame, key: str, size: str, shard: int =
 
     Only an item that alone exceeds a capacity is split: into parts that each fill a container, and a rest that is packed
     like any item. `first` is the offset of a part's first token. Items of size 0 take no space and share a container.
-    Limits without a positive capacity give no rows.
+    Limits without a positive capacity give no rows; of a limit stated twice the larger capacity counts. A null size is 0, a null
+    key is packed like any other, a repeated key as often as it stands.
     """
     shards = max(1, -(-items.count() // shard))
-    caps = limits.filter("limit_id IS NOT NULL AND capacity > 0").select(F.col("limit_id").cast("long"), F.col("capacity").cast("long")).dropDuplicates(["limit_id"])
-    sized = items.select(F.col(key).cast("long").alias(key), F.col(size).cast("long").alias("n_tokens"))
-    each = sized.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards))).join(F.broadcast(caps))
+    caps = limits.filter("limit_id IS NOT NULL AND capacity > 0").groupBy(F.col("limit_id").cast("long").alias("limit_id")).agg(F.max(F.col("capacity").cast("long")).alias("capacity"))
+    given = caps.limit(MOST_LIMITS + 1).collect()
+    if len(given) > MOST_LIMITS:
+        raise ValueError(f"more than {MOST_LIMITS} limits")
+    sized = items.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("n_tokens"))
+    into = F.array(*[F.struct(F.lit(r.limit_id).alias("limit_id"), F.lit(r.capacity).alias("capacity")) for r in given]) if given else F.array().cast("array<struct<limit_id:bigint,capacity:bigint>>")
+    each = sized.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards))).select("*", F.explode(into).alias("c")).select(key, "n_tokens", "shard", "c.*")
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         capacity, number = int(batch["capacity"].iloc[0]), int(batch["shard"].iloc[0])

@@ -267,11 +267,12 @@ def encode(docs: DataFrame, key: str, text: str, vocabulary: str | None = None,
     Empty and null texts give the empty list and 0. Rows are neither dropped nor merged: a repeated key comes out as often as
     it goes in, a null key stays null. No shuffle. The vocabulary is broadcast: its size is that of the rank file.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))
+    # plain arrays: a broadcast class would have to be importable on the executors
+    shared = docs.sparkSession.sparkContext.broadcast(vars(load_vocabulary(vocabulary)))
     named = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
 
     def run(batches):
-        v, cache = shared.value, worker_cache("pieces")
+        v, cache = Vocabulary(**shared.value), worker_cache("pieces")
         for batch in batches:
             for i, j, ids, ends in encode_column(batch.column(1), v, cache):
                 keys = batch.column(0).slice(i, j - i)
