@@ -12,7 +12,6 @@ import re
 import sqlite3
 from dataclasses import dataclass, field
 
-import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -150,8 +149,14 @@ def check(schema: Schema) -> Schema:
     return schema
 
 
+def _parsed(text: str):
+    import yaml  # only schemas and settings need it
+
+    return yaml.safe_load(text)
+
+
 def built_in() -> dict[str, Schema]:
-    return {s["name"]: from_mapping(s) for s in yaml.safe_load(BUILT_IN)}
+    return {s["name"]: from_mapping(s) for s in _parsed(BUILT_IN)}
 
 
 def load(name: str, folder: str | None = None) -> Schema:
@@ -160,7 +165,7 @@ def load(name: str, folder: str | None = None) -> Schema:
         raise SchemaError("a name has no slash and no ..")
     if folder and os.path.exists(at := os.path.join(folder, f"{name}.yaml")):
         with open(at, encoding="utf-8") as f:
-            return from_mapping(yaml.safe_load(f))
+            return from_mapping(_parsed(f.read()))
     known = built_in()
     if name not in known:
         raise SchemaError(f"there is no schema {name}")
