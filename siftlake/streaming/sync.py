@@ -1,8 +1,8 @@
 """Syncing a folder of scan listings as a stream.
 
 Listings arrive as files; every micro-batch is compared with the store and the differences are committed as one version of
-it. A batch that is run again after a failure finds its own number committed and does nothing. Late and repeated rows of a
-session are dropped within the watermark.
+it. A batch that is run again after a failure finds its documents unchanged in the store and commits nothing. Repeated rows
+can be dropped within a watermark.
 """
 
 from __future__ import annotations
